@@ -45,6 +45,32 @@ def op4_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = N
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import remainder
+    from .langid import identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    trees = train(docs.select("doc_id", "text", "lang"), ~held_out)
+    return identify(docs.select("doc_id", "text"), trees).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import remainder
+    from .quality import score, train
+
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = train(docs, labels, ~held_out)
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 SQL = {
     "op1_chat_formatting": r"""
 WITH rows AS (
