@@ -32,7 +32,7 @@ OPEN_WINDOWS = 64
 MIN_CUT = 32
 END_ID = 1
 #: Words remembered by a worker; later ones are encoded each time.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_200_000
 #: The tokenizer splits between a letter and a run of punctuation, so a space there changes nothing.
 BEFORE_STOP = re.compile(rb"([a-z])([.,])")
 MERGE_GROUP = 8192
