@@ -139,7 +139,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fits on labels of rows where may_learn holds (a column of labels)."""
     own = labels.filter(may_learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("least"), F.max(label_col).alias("most"))
-    known = own.agg(F.count_if("least = 1").alias("pos"), F.count_if("most = 0").alias("neg")).first()
+    known = own.agg(F.count_if(F.col("least") == 1).alias("pos"), F.count_if(F.col("most") == 0).alias("neg")).first()
     share = lambda seed, want, there: F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 20)) < int(min(1.0, want / max(1, there)) * (1 << 20))
     # At most MAX_POSITIVE ids (within sampling error), whatever the tables hold.
     positive = F.broadcast(own.filter("least = 1").filter(share(1, MAX_POSITIVE, known.pos)).select(F.col(id_col).alias("known_id")))
