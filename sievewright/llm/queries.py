@@ -71,6 +71,12 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 SQL = {
     "op1_chat_formatting": r"""
 WITH rows AS (

@@ -198,7 +198,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block: list[tuple] = []
     bucket: list[tuple] = []
     block_size = bucket_size = 0
-    key, spilled = None, False
+    key, spilled, place = None, False, None
 
     def sort(rows: list[tuple]) -> pa.RecordBatch:
         out = []
@@ -226,7 +226,10 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c1, c2, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if key != (c1, c2):
                 yield from close()
-                key, spilled = (c1, c2), False
+                key, spilled, place = (c1, c2), False, None
+            if place == row[:3]:
+                continue
+            place = row[:3]
             bucket.append(tuple(row))
             bucket_size += len(row[4])
             if bucket_size > BLOCK:
@@ -255,11 +258,9 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     settled = every.join(whole, ["r1", "r2"]).select("t1", "t2", "first", "last")
     open_ = every.join(mixed, "g", "left_semi").groupBy("g", "r1", "r2").agg(F.min(F.struct("t1", "t2", "first", "last", "anchor")).alias("one")).select("one.*")
     wanted = open_.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("wanted"))
-    parts = texts.dropDuplicates(["t1", "t2"]) if False else texts
-    parts = parts.join(wanted, ["t1", "t2"]).select("text", "t1", "t2", "wanted").mapInArrow(_parts, PARTS)
-    # Copies of one text bring equal parts; one of them is enough.
-    parts = parts.dropDuplicates(["c1", "c2", "t1", "t2", "at"])
-    found = parts.repartition("c1", "c2").sortWithinPartitions("c1", "c2").mapInArrow(_sort, FOUND)
+    parts = texts.join(wanted, ["t1", "t2"]).select("text", "t1", "t2", "wanted").mapInArrow(_parts, PARTS)
+    # Copies of one text bring equal parts, which the order puts side by side; _sort takes one of them.
+    found = parts.repartition("c1", "c2").sortWithinPartitions("c1", "c2", "t1", "t2", "at").mapInArrow(_sort, FOUND)
     found = materialize(found, "found")
     big = found.filter("s1 IS NOT NULL")
     many = big.groupBy("s1", "s2").agg(F.count("*").alias("n")).filter("n > 1").select("s1", "s2")
