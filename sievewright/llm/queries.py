@@ -45,6 +45,12 @@ def op4_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = N
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import similar
+
+    return similar(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import remainder
     from .langid import identify, train
@@ -127,6 +133,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM norm LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
 }
 
+SQL["op5_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 1 THEN w WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words),
+rows AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c
+  FROM rows a JOIN rows b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 60 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM pairs WHERE 100 * c >= 60 * (nx + ny - c)),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least_of AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+degrees AS (SELECT x, count(*) AS d FROM links GROUP BY x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CAST(coalesce(d, 0) AS BIGINT) AS n_similar, component_id
+FROM sets s JOIN least_of l ON l.x = s.doc_id LEFT JOIN degrees g ON g.x = s.doc_id"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
