@@ -83,6 +83,14 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import remainder
+    from .lm_score import scores
+
+    out = scores(_table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) != 2)
+    return out.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 SQL = {
     "op1_chat_formatting": r"""
 WITH rows AS (
