@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,6 +33,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(parts, name: str, key: str, buckets: int) -> DataFrame:
+    """Appends frames to one table bucketed and sorted by a key, so that grouping by it later moves nothing.
+
+    parts: callables, run one after the other; the shuffle files of each are let go before the next.
+    """
+    spark = None
+    for part in parts:
+        df = part()
+        if spark is None:
+            spark = df.sparkSession
+            table = f"{name}_{uuid.uuid4().hex}"
+            path = f"{scratch_root(spark)}/{table}"
+        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("append").option("path", path).saveAsTable(table)
+        del df
+        release(spark)
+    return spark.table(table)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop the shuffle files of finished jobs that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table of ours that nothing reads any more."""
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if file.startswith(("file:", "hdfs:", "s3", "gs:", "abfs", "/")):
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
