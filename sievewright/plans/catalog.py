@@ -443,3 +443,62 @@ def hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.audit import hourly
 
     return hourly(table(spark, sf_dir, "events")).select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.round(F.col("value") * 100).cast("long").alias("value_e2"))
+
+
+# --- binary files -----------------------------------------------------------------------------
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One built image per document."""
+    import pyarrow as pa
+
+    from .blobs import image
+
+    def build(batches):
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in ids]), pa.array([image(i) for i in ids], pa.binary())], names=["name", "content"])
+
+    return table(spark, sf_dir, "documents").select("doc_id").mapInArrow(build, "name string, content binary")
+
+
+_n = "doc_id % 3 AS form, doc_id // 3 % 4 AS what"
+_found = """CASE form
+  WHEN 0 THEN ['', 'png.chunk.exif:confirmed', 'png.chunk.text.identity:confirmed,png.chunk.time:confirmed', 'png.chunk.c2pa:confirmed,png.chunk.text.ai:confirmed'][what + 1]
+  WHEN 1 THEN ['', 'jpeg.app1.exif:confirmed', 'jpeg.com:informational,jpeg.app13.iptc:confirmed', 'jpeg.app11.jumbf:confirmed,jpeg.app.markers:probable,jpeg.app1.xmp:informational'][what + 1]
+  ELSE ['', 'webp.chunk.exif:confirmed', 'webp.chunk.xmp:informational', 'webp.chunk.c2pa:confirmed,webp.chunk.xmp.markers:probable'][what + 1] END"""
+_away = """CASE WHEN what = 1 THEN 'author,device,location' WHEN what = 2 THEN ['author,timestamps', 'author', 'device'][form + 1] ELSE '' END"""
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS name, ['png', 'jpeg', 'webp'][form + 1] AS format, what = 3 AS has_c2pa, what = 3 AS has_ai_metadata, {_away} AS privacy, {_found} AS findings FROM (SELECT doc_id, {_n} FROM documents)")
+def image_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.images import inspect_images
+
+    got = inspect_images(_images(spark, sf_dir), "name")
+    return got.select("name", "format", "has_c2pa", "has_ai_metadata", F.array_join("privacy", ",").alias("privacy"), F.array_join(F.transform("findings", lambda f: F.concat(f["code"], F.lit(":"), f["confidence"])), ",").alias("findings"))
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS name, CASE form WHEN 0 THEN ['', 'eXIf=1', 'tEXt=1,tIME=1', 'caBX=1,iTXt=1'][what + 1] WHEN 1 THEN ['', 'APP1=1', 'APP13=1,COM=1', 'APP11=1,APP1=1'][what + 1]
+  ELSE ['', 'EXIF=1', 'XMP=1', 'C2PA=1,XMP=1'][what + 1] END AS dropped, true AS clean FROM (SELECT doc_id, {_n} FROM documents)""")
+def image_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stripping drops, and that nothing is found in the output."""
+    from ..operators.images import inspect_images, strip_images
+
+    out = strip_images(_images(spark, sf_dir), "name")
+    dropped = F.array_join(F.array_sort(F.transform(F.map_entries("dropped"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
+    after = inspect_images(out.select("name", "output"), "name", "output").select("name", (F.size("findings") == 0).alias("clean"))
+    return out.select("name", dropped.alias("dropped")).join(after, "name")
+
+
+@query()
+def image_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.images import image_parts as parts
+
+    return parts(_images(spark, sf_dir), "name")
+
+
+@query("SELECT item_id, CAST(length(text) AS BIGINT) AS n FROM benchmark")
+def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text lengths after a lossless round trip through bytes."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.encode("text", "utf-8").alias("raw"))
+    return b.select("item_id", F.char_length(F.decode("raw", "utf-8")).cast("long").alias("n"))
