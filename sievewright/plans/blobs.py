@@ -44,3 +44,29 @@ def image(n: int) -> bytes:
     if form == 1:
         return jpeg(*[[(0xE0, b"JFIF\0")], [(0xE1, b"Exif\0\0" + EXIF)], [(0xFE, b"by artist"), (0xED, b"8BIM")], [(0xEB, b"JP"), (0xE1, b"http://ns\0<x:xmpmeta midjourney>")]][what])
     return webp(*[[], [(b"EXIF", EXIF)], [(b"XMP ", b"<x tiff:make='a'/>")], [(b"C2PA", b"q"), (b"XMP ", b"synthid")]][what])
+
+
+def archive(parts: dict[str, str]) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in parts.items():
+            info = zipfile.ZipInfo(name, (2020, 1, 2, 3, 4, 6))
+            info.compress_type = 0 if name == "mimetype" else 8
+            z.writestr(info, body)
+    return out.getvalue()
+
+
+def office(n: int) -> bytes:
+    """The n-th test document: DOCX and ODT by turns, metadata by n // 2 % 3."""
+    what = n // 2 % 3
+    if n % 2:
+        meta = ["", "<dc:creator>me</dc:creator><dc:date>2020</dc:date>", '<meta:generator>ChatGPT</meta:generator><meta:user-defined meta:name="k">v</meta:user-defined>'][what]
+        return archive({"mimetype": "application/vnd.oasis.opendocument.text", "meta.xml": f"<office:meta>{meta}</office:meta>", "content.xml": "<t>body</t>"})
+    core = ["<dc:creator></dc:creator>", "<dc:creator>me</dc:creator><dcterms:created>2020</dcterms:created>", "<dc:creator>me</dc:creator>"][what]
+    parts = {"[Content_Types].xml": '<Types><Override PartName="/customXml/item1.xml" ContentType="x"/><Override PartName="/word/document.xml" ContentType="y"/></Types>', "word/document.xml": "<w>body</w>", "docProps/core.xml": core}
+    if what == 2:
+        parts["customXml/item1.xml"] = "<a>synthid</a>"
+    return archive(parts)

@@ -448,16 +448,16 @@ def hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- binary files -----------------------------------------------------------------------------
 
 
-def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One built image per document."""
+def _images(spark: SparkSession, sf_dir: str, kind: str = "image") -> DataFrame:
+    """One built file per document."""
     import pyarrow as pa
 
-    from .blobs import image
-
     def build(batches):
+        from . import blobs
+
         for b in batches:
             ids = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in ids]), pa.array([image(i) for i in ids], pa.binary())], names=["name", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in ids]), pa.array([getattr(blobs, kind)(i) for i in ids], pa.binary())], names=["name", "content"])
 
     return table(spark, sf_dir, "documents").select("doc_id").mapInArrow(build, "name string, content binary")
 
@@ -502,3 +502,25 @@ def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text lengths after a lossless round trip through bytes."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.encode("text", "utf-8").alias("raw"))
     return b.select("item_id", F.char_length(F.decode("raw", "utf-8")).cast("long").alias("n"))
+
+
+_office = """CASE doc_id % 2
+  WHEN 0 THEN ['', 'docx.identity:confirmed,docx.timestamps:confirmed', 'docx.customxml:informational,docx.identity:confirmed,docx.part.ai:probable'][what + 1]
+  ELSE ['', 'odt.meta.dc.creator:confirmed,odt.meta.dc.date:confirmed', 'odt.meta.meta.generator:confirmed,odt.meta.user-defined:informational'][what + 1] END"""
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS name, CASE doc_id % 2 WHEN 0 THEN 'docx' ELSE 'odt' END AS format, what = 2 AS has_ai_metadata, {_office} AS findings FROM (SELECT doc_id, doc_id // 2 % 3 AS what FROM documents)")
+def office_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.archives import inspect_documents
+
+    return inspect_documents(_images(spark, sf_dir, "office"), "name").select("name", "format", "has_ai_metadata", F.array_join("findings", ",").alias("findings"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS name, '' AS left_over, CAST(3 AS BIGINT) AS entries FROM documents")
+def office_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What inspection still finds after cleaning, and the entries kept."""
+    from ..operators.archives import clean_documents, inspect_documents, zip_entries
+
+    out = clean_documents(_images(spark, sf_dir, "office"), "name").select("name", F.col("output").alias("content"))
+    kept = zip_entries(out, "name").groupBy("name").agg(F.count("*").alias("entries"))
+    return inspect_documents(out, "name").select("name", F.array_join("findings", ",").alias("left_over")).join(kept, "name")
