@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import markers as m
 
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
-PNG_KEEP = frozenset("IHDR PLTE IDAT IEND tRNS gAMA cHRM sRGB iCCP sBIT bKGD hIST pHYs sPLT acTL fcTL fdAT".split())
+PNG_KEEP = frozenset("IDAT IEND IHDR PLTE acTL bKGD cHRM fcTL fdAT gAMA hIST iCCP pHYs sBIT sPLT sRGB tRNS".split())
 PNG_TEXT = frozenset(("tEXt", "zTXt", "iTXt"))
 PNG_META = PNG_TEXT | {"eXIf", "tIME"}
 PNG_WORDS = ("author", "comment", "copyright", "creation time", "disclaimer", "software", "source", "warning")

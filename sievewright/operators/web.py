@@ -147,8 +147,8 @@ def url_policy(url: Column) -> Column:
 
 
 TYPES = {
-    "text/html": "html", "application/xhtml+xml": "html", "image/png": "png", "image/jpeg": "jpg", "image/webp": "webp", "image/svg+xml": "svg", "application/pdf": "pdf",
-    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx", "application/vnd.oasis.opendocument.text": "odt", "text/markdown": "md", "text/plain": "txt",
+    "application/pdf": "pdf", "application/vnd.oasis.opendocument.text": "odt", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx", "application/xhtml+xml": "html",
+    "image/jpeg": "jpg", "image/png": "png", "image/svg+xml": "svg", "image/webp": "webp", "text/html": "html", "text/markdown": "md", "text/plain": "txt",
 }
 
 
