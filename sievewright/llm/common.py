@@ -48,7 +48,9 @@ def bucketed(parts, name: str, key: str, buckets: int) -> DataFrame:
         df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("append").option("path", path).saveAsTable(table)
         del df
         release(spark)
-    return spark.table(table)
+    out = spark.table(table)
+    out.own_table = table
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -58,8 +60,11 @@ def release(spark: SparkSession) -> None:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes the files of a table of ours that nothing reads any more."""
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    """Deletes a table of ours that nothing reads any more."""
+    files = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    if (table := getattr(df, "own_table", None)) is not None:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+    for file in files:
         if file.startswith(("file:", "hdfs:", "s3", "gs:", "abfs", "/")):
             jvm = df.sparkSession.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(file)
