@@ -278,7 +278,7 @@ def test_suffix_dedup(spark, monkeypatch, block):
 # 10 --------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("shard", [12_000_000, 300])
+@pytest.mark.parametrize("shard", [8_000_000, 300])
 def test_lm_scoring(spark, monkeypatch, shard):
     monkeypatch.setattr(lm_score, "SHARD_TOKENS", shard)
     r = random.Random(shard)
