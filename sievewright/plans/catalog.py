@@ -133,9 +133,9 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 _cv = r"n AS (SELECT doc_id, CAST(len(regexp_extract_all(s, '[\p{L}\p{N}][\p{L}\p{N}''-]*')) AS DOUBLE) AS n FROM sent), cv AS (SELECT doc_id, CASE WHEN count(*) < 2 THEN 0.0 ELSE stddev_samp(n) / avg(n) END AS cv FROM n WHERE n > 0 GROUP BY doc_id)"
 
 
-@query(f"WITH seeded AS (SELECT doc_id, text FROM documents), {_lines}, {_cv} SELECT doc_id, CAST(round(coalesce(cv, 0) * 10000) AS BIGINT) AS cv_e4 FROM documents LEFT JOIN cv USING (doc_id)")
+@query(f"WITH seeded AS (SELECT doc_id, text FROM documents), {_lines}, {_cv} SELECT doc_id, CAST(floor(coalesce(cv, 0) * 10000 + 0.500001) AS BIGINT) AS cv_e4 FROM documents LEFT JOIN cv USING (doc_id)")
 def burstiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return style.burstiness(table(spark, sf_dir, "documents")).select("doc_id", F.round(F.col("cv") * 10000).cast("long").alias("cv_e4"))
+    return style.burstiness(table(spark, sf_dir, "documents")).select("doc_id", F.floor(F.col("cv") * 10000 + 0.500001).cast("long").alias("cv_e4"))
 
 
 def _mattr(source: str) -> str:
@@ -146,9 +146,9 @@ v AS (SELECT *, coalesce(lag(j) OVER (PARTITION BY doc_id, word ORDER BY j), 0)
 mattr AS (SELECT doc_id, sum(CASE WHEN n > 50 THEN greatest(0, least(j, n - 49) - greatest(1, j - 49, p + 1) + 1) / (50.0 * (n - 49)) WHEN p = 0 THEN 1.0 / n ELSE 0 END) AS mattr FROM v GROUP BY doc_id)"""
 
 
-@query(f"WITH {_mattr('documents')} SELECT doc_id, CAST(round(mattr * 1000000) AS BIGINT) AS mattr_e6 FROM mattr")
+@query(f"WITH {_mattr('documents')} SELECT doc_id, CAST(floor(mattr * 1000000 + 0.500001) AS BIGINT) AS mattr_e6 FROM mattr")
 def mattr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return style.moving_ratio(table(spark, sf_dir, "documents")).select("doc_id", F.round(F.col("mattr") * 1000000).cast("long").alias("mattr_e6"))
+    return style.moving_ratio(table(spark, sf_dir, "documents")).select("doc_id", F.floor(F.col("mattr") * 1000000 + 0.500001).cast("long").alias("mattr_e6"))
 
 
 _esc = lambda s: s.replace("'", "''")
@@ -169,11 +169,11 @@ ns AS (SELECT doc_id, count(*) AS n_sentences FROM sent GROUP BY doc_id), wt AS
 a AS (SELECT doc_id, len(w.w) AS n_words, coalesce(n_sentences, 0) AS n_sentences, coalesce(cv, 0) AS cv, coalesce(mattr, 0) AS mattr, coalesce(weighted, 0) / (greatest(len(w.w), 1) / 100.0) AS density
   FROM w LEFT JOIN ns USING (doc_id) LEFT JOIN cv USING (doc_id) LEFT JOIN mattr USING (doc_id) LEFT JOIN wt USING (doc_id)),
 r AS (SELECT *, CASE WHEN n_words >= 30 THEN least(1.0, greatest(0.0, ({_d(style.BURST + " ")} * 0.45 + {_d(style.DENSE + " ")} * 0.45 + {_d(style.DIVERSE + " ")} * 0.1) * {_d(style.DAMP + " ")})) ELSE 0 END AS raw FROM a)
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_sentences AS BIGINT) AS n_sentences, CAST(round(raw * 1000000) AS BIGINT) AS score_e6,
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_sentences AS BIGINT) AS n_sentences, CAST(floor(raw * 1000000 + 0.500001) AS BIGINT) AS score_e6,
   CASE WHEN raw >= 0.75 THEN 'HIGH' WHEN raw >= 0.5 THEN 'MEDIUM' WHEN raw >= 0.25 THEN 'LOW' ELSE 'CLEAN' END AS level, CASE WHEN n_words >= 30 THEN 'ok' ELSE 'insufficient-length' END AS status FROM r""")
 def stylometry_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = style.score(docs(spark, sf_dir, seeds.PHRASES), raw=True)
-    return s.select("doc_id", "n_words", "n_sentences", F.round(F.col("raw") * 1000000).cast("long").alias("score_e6"), "level", "status")
+    return s.select("doc_id", "n_words", "n_sentences", F.floor(F.col("raw") * 1000000 + 0.500001).cast("long").alias("score_e6"), "level", "status")
 
 
 # --- markers ----------------------------------------------------------------------------------
@@ -414,15 +414,15 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("orig", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("orig IS NOT NULL")
 
 
-@query(_pairs + " SELECT conv_id, turn, CAST(round(div * 1000000) AS BIGINT) AS divergence_e6 FROM e")
+@query(_pairs + " SELECT conv_id, turn, CAST(floor(div * 1000000 + 0.500001) AS BIGINT) AS divergence_e6 FROM e")
 def lexical_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _turns(spark, sf_dir).select("conv_id", "turn", F.round(rewrite.divergence(F.col("orig"), F.col("text")) * 1000000).cast("long").alias("divergence_e6"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.floor(rewrite.divergence(F.col("orig"), F.col("text")) * 1000000 + 0.500001).cast("long").alias("divergence_e6"))
 
 
-@query(_pairs + ", b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS r, count(*) OVER (PARTITION BY conv_id) AS candidates FROM e) SELECT conv_id, turn AS best, CAST(round(score * 1000000) AS BIGINT) AS score_e6, candidates FROM b WHERE r = 1")
+@query(_pairs + ", b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS r, count(*) OVER (PARTITION BY conv_id) AS candidates FROM e) SELECT conv_id, turn AS best, CAST(floor(score * 1000000 + 0.500001) AS BIGINT) AS score_e6, candidates FROM b WHERE r = 1")
 def select_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = rewrite.select_candidate(_turns(spark, sf_dir), "conv_id", "turn", "orig", "text")
-    return best.select("conv_id", "best", F.round(F.col("score") * 1000000).cast("long").alias("score_e6"), "candidates")
+    return best.select("conv_id", "best", F.floor(F.col("score") * 1000000 + 0.500001).cast("long").alias("score_e6"), "candidates")
 
 
 @query(_pairs + " SELECT conv_id, turn, CASE WHEN div < 0.2 OR len(b) > 400 THEN 'higher' WHEN len(b) < 60 THEN 'lower' ELSE 'moderate' END AS risk FROM e")
@@ -438,11 +438,11 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- time windows -----------------------------------------------------------------------------
 
 
-@query("SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, event_type, count(*) AS n, CAST(round(sum(value) * 100) AS BIGINT) AS value_e2 FROM events GROUP BY 1, 2")
+@query("SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, event_type, count(*) AS n, CAST(floor(sum(value) * 100 + 0.500001) AS BIGINT) AS value_e2 FROM events GROUP BY 1, 2")
 def hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.audit import hourly
 
-    return hourly(table(spark, sf_dir, "events")).select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.round(F.col("value") * 100).cast("long").alias("value_e2"))
+    return hourly(table(spark, sf_dir, "events")).select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.floor(F.col("value") * 100 + 0.500001).cast("long").alias("value_e2"))
 
 
 # --- binary files -----------------------------------------------------------------------------
