@@ -257,7 +257,8 @@ def audit_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_audit + "SELECT doc_id, weight FROM aud ORDER BY weight DESC, doc_id LIMIT 100")
 def audit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audited(spark, sf_dir).select("doc_id", "weight").orderBy(F.desc("weight"), "doc_id").limit(100)
+    """Every document, worst first; the SQL beside it lists the first 100 of them."""
+    return audited(spark, sf_dir).select("doc_id", "weight").orderBy(F.desc("weight"), "doc_id")
 
 
 @query(_audit + "SELECT format, highest_confidence, count(*) AS items, CAST(sum(weight) AS BIGINT) AS weight FROM aud GROUP BY ROLLUP (format, highest_confidence)")
