@@ -148,6 +148,22 @@ def test_jaccard_join(spark, monkeypatch):
     assert jaccard_join.similar(empty(spark, DOCS)).count() == 0
 
 
+def test_jaccard_join_through_null_ids(spark):
+    word = lambda g, k: f"g{g}w{k}"
+    rows = []
+    for g in range(3):  # three variants each, of which another one has no id
+        base = " ".join(word(g, k) for k in range(40))
+        rows += [(None if v == g else 10 * g + v, f"{base} end{v}") for v in range(3)]
+    # Two that only one without an id connects, and two without ids that are alike.
+    rows += [(i, " ".join(word(3, k) for k in range(a, a + 40))) for i, a in ((30, 0), (None, 5), (31, 10))]
+    rows += [(None, " ".join(word(4, k) for k in range(40)) + f" end{v}") for v in range(2)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = sorted((x.doc_id is None, x.doc_id or 0, x.n_similar, x.component_id) for x in jaccard_join.similar(docs).collect() if x.doc_id is not None)
+    assert got == [(False, *x) for x in [(1, 2, 1), (2, 2, 1), (10, 2, 10), (12, 2, 10), (20, 2, 20), (21, 2, 20), (30, 1, 30), (31, 1, 30)]]
+    kept = [x.doc_id for x in jaccard_join.keep_one(docs).collect()]
+    assert sorted(i for i in kept if i is not None) == [1, 10, 20, 30] and kept.count(None) == 6
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 
