@@ -44,7 +44,8 @@ TAGS = {t: k for k, group in enumerate(["article main", "section", "div", "p", "
 KINDS = 16
 TOKEN = re.compile(r"[a-z]+|[0-9]+")
 #: Raw-text elements and comments whole, then tags; a cut-off one runs to the end.
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
+#: An svg closed in its own tag is empty; a longer name, as of <svg-icon>, is another element.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|textarea|title|noscript|template|iframe|svg)(?=[\s/>]|\Z)[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 

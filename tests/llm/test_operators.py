@@ -255,6 +255,19 @@ def test_extraction_edges(spark):
     assert got == {1: "A & B\none two three\nfür long enough text to be an article, of course.", 2: "", 3: ""}
 
 
+@pytest.mark.parametrize("mark", ["<svg-icon name='x'></svg-icon>", "<title-bar></title-bar>", "<svg/>", "<svg class='i' viewBox=\"0 > 1\" />", "<SVG\nwidth=1 />", "<svg aria-label='a/>b'>gone</svg>", "<svg><path d=''/>gone</svg>", "<script src='x'/>gone</script>"])
+def test_extraction_raw_names(mark):
+    page = html_extract.Page(f"<article><p>before</p>{mark}<p>after &amp; on</p></article>")
+    assert " ".join("".join(t or " " for _, t in page.events).split()) == "before after & on"
+
+
+def test_extraction_keeps_text_after_icons():
+    said = "Some text that is long enough to be an article, of course, and more of it."
+    for mark in ("<svg-icon></svg-icon>", "<svg class=\"i\" />"):
+        page = f"<body><nav><ul><li><a href=/x>x</a></li></ul></nav><article><h1>A head</h1><p>{said}</p>{mark}<p>{said}</p><p>The end of it, at last.</p></article></body>"
+        assert html_extract.Extractor().extract([page]) == [f"A head\n{said}\n{said}\nThe end of it, at last."]
+
+
 # 9 ---------------------------------------------------------------------------------------------
 
 
