@@ -11,6 +11,9 @@ The benchmark is cut into shards of at most SHARD_WORDS words (long items into o
 pieces), so what a task holds is bounded however large the benchmark grows; every shard is one
 more pass over the documents.
 
+An item of fewer than ``max_span`` words is found and counted as any other, but ``clean`` leaves its
+words in a document that it keeps, unless they are part of a longer hit span.
+
 Cases: null text has no words; null or empty items, and items with null ids, hit nothing;
 repeated items count once per id; an empty benchmark leaves every document clean; extra
 columns pass through; columns that clash with the operator's own are replaced.
@@ -150,21 +153,23 @@ def _automaton(key: str, items: list[tuple[str, list[bytes]]], window: int) -> A
     return _automata[key]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(window: int):
     """Items as pieces of a bounded size that overlap by a window less one word."""
-    step = PIECE_WORDS - _cut.window + 1
-    for b in batches:
-        rows = [(i, b" ".join(w[k : k + PIECE_WORDS]), len(w[k : k + PIECE_WORDS])) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if i is not None and (w := words(t)) for k in (range(0, max(1, len(w) - _cut.window + 1), step))]
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.binary(), pa.int64()), strict=True)], names=["item_id", "piece", "n"])
+    size = max(PIECE_WORDS, 2 * window)
+    step = size - window + 1
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, b" ".join(w[k : k + size]), len(w[k : k + size])) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if i is not None and (w := words(t)) for k in (range(0, max(1, len(w) - window + 1), step))]
+            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.binary(), pa.int64()), strict=True)], names=["item_id", "piece", "n"])
 
-_cut.window = WINDOW
+    return run
 
 
-def shards(bench: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str, list[bytes]]]]:
+def shards(bench: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> list[list[tuple[str, list[bytes]]]]:
     """The benchmark's pieces, in shards whose size is checked before any of them is fetched."""
-    pieces = bench.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_cut, "item_id string, piece binary, n long").distinct()
+    pieces = bench.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_cut(window), "item_id string, piece binary, n long").distinct()
     total = pieces.agg(F.sum("n")).first()[0] or 0
     if total <= SHARD_WORDS:
         return [[(r.item_id, bytes(r.piece).split()) for r in pieces.collect()]] if total else []
@@ -190,7 +195,7 @@ FOUND = "spans array<array<int>>, items array<string>, n_words long"
 def find(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with ``spans`` (merged hit word spans), ``items`` (ids hit, sorted as strings) and ``n_words``."""
     docs = docs.drop("spans", "items", "n_words")
-    parts = shards(bench, item_id, item_text) or [[]]
+    parts = shards(bench, item_id, item_text, window) or [[]]
     out = docs
     for k, part in enumerate(parts):
         if k:
@@ -201,7 +206,7 @@ def find(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id: str
 
 def _pass(docs: DataFrame, items: list, text_col: str, window: int, more: bool) -> DataFrame:
     spark = docs.sparkSession
-    key = hashlib.sha256(json.dumps([[i, [w.hex() for w in s]] for i, s in items]).encode() + bytes([window])).hexdigest()
+    key = hashlib.sha256(json.dumps([[i, [w.hex() for w in s]] for i, s in items]).encode() + b"%d" % window).hexdigest()
     held = spark.sparkContext.broadcast(items)
     at = docs.columns.index(text_col)
     n = len(docs.columns) - 3 * more

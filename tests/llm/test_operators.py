@@ -92,6 +92,15 @@ def test_decontamination(spark, monkeypatch):
     assert kept.columns == df.columns and kept.count() == len(docs)
 
 
+def test_decontamination_of_long_items_by_wide_windows(spark):
+    long = [f"w{k}" for k in range(20_100)]
+    docs = spark.createDataFrame([(k, " ".join(["x", *long[k : k + 12], "y"])) for k in (0, 19_988, 19_990, 19_992, 19_993, 20_088)], DOCS)
+    bench = spark.createDataFrame([("a", " ".join(long))], "item_id string, text string")
+    assert {tuple(map(tuple, r.spans)) for r in decontaminate.find(docs, bench, window=12).collect()} == {((1, 13),)}
+    docs = spark.createDataFrame([(0, " ".join(f"d{k}" for k in range(400)) + " " + " ".join(long[:300]))], DOCS)
+    assert decontaminate.find(docs, bench, window=300).first().spans == [[400, 700]]
+
+
 # 4 ---------------------------------------------------------------------------------------------
 
 
