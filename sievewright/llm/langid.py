@@ -7,8 +7,9 @@ choice over all byte values. The statistics are frozen after training, so the co
 (context, byte) is worked out once, for all languages side by side; scoring a text is then exact
 table look-ups over the whole of it, and the language of the shortest code wins.
 
-Training reads whole texts of a bounded sample: SAMPLE_BYTES over all languages, in expectation,
-by a hash of the id, from texts of at most SAMPLE_TEXT bytes.
+Training reads a bounded sample: SAMPLE_BYTES over all languages, in expectation, by a hash of the
+id. It takes texts of up to SAMPLE_TEXT bytes whole, and longer ones in pieces of that size, each
+drawn by itself.
 
 Cases: null text and text without a letter is ``und`` with score 0; so is everything when nothing
 was learned; null languages teach nothing; very long texts are scored in pieces that know what
@@ -168,7 +169,9 @@ class Trees:
 
 
 def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> Trees:
-    own = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).cast("binary").alias("text")).filter(F.length("text") <= SAMPLE_TEXT)
+    own = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    own = own.select("lang", "id", F.posexplode(F.expr(f"transform(sequence(0, CAST(greatest(length(text) - 1, 0) DIV {SAMPLE_TEXT} AS INT)), k -> substring(text, k * {SAMPLE_TEXT} + 1, {SAMPLE_TEXT}))")).alias("k", "text"))
+    own = own.select("lang", F.when(F.col("k") == 0, F.xxhash64("id")).otherwise(F.xxhash64("id", "k")).alias("h"), "text")
     there = own.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()
     each = sample_bytes / max(1, len(there))
     share = F.create_map(*[x for r in there for x in (F.lit(r.lang), F.lit(int(min(1.0, each / max(1, r.n)) * (1 << 30))))]) if there else None

@@ -225,6 +225,17 @@ def test_language_edges(spark):
     assert langid.identify(df, none).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_of_long_texts_alone(spark):
+    long = "zwu kxo qwy " * 20_000
+    docs = spark.createDataFrame([(1, "the cat and the dog " * 20, "en"), (2, long, "zz")], DOCS + ", lang string")
+    trees = langid.train(docs, F.lit(True))
+    assert trees.langs == ["en", "zz"]
+    asked = spark.createDataFrame([(1, "qwy zwu kxo"), (2, "the dog and the cat")], DOCS)
+    assert {x.doc_id: x.lang_pred for x in langid.identify(asked, trees).collect()} == {1: "zz", 2: "en"}
+    some = langid.train(docs, F.lit(True), sample_bytes=200_000)
+    assert some.langs == ["en", "zz"]
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 
