@@ -133,8 +133,13 @@ def test_packing_keeps_every_id_once(spark):
 # 5 ---------------------------------------------------------------------------------------------
 
 
-def test_jaccard_join(spark, monkeypatch):
+@pytest.mark.parametrize(("work", "seen"), [(4_000_000, 400), (9, 2)])
+def test_jaccard_join(spark, monkeypatch, work, seen):
     monkeypatch.setattr(jaccard_join, "PART", 3)
+    monkeypatch.setattr(jaccard_join, "WORK", work)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard_join, "SEEN", seen)
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 256 if seen > 2 else 2)
     r = random.Random(4)
     base = [[r.choice("abcdefghijklmnop") + str(r.randrange(30)) for _ in range(r.choice([1, 2, 8, 30, 60]))] for _ in range(14)]
     texts = []
