@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,9 +34,13 @@ MIN_CUT = 32
 END_ID = 1
 #: Words remembered by a worker; later ones are encoded each time.
 CACHE_ENTRIES = 1_200_000
+#: Bytes of text whose new words are encoded together.
+GROUP_BYTES = 1 << 20
 #: The tokenizer splits between a letter and a run of punctuation, so a space there changes nothing.
 BEFORE_STOP = re.compile(rb"([a-z])([.,])")
 MERGE_GROUP = 8192
+#: What a tokenizer must encode alike word by word and whole, for words to be remembered.
+PROBES = [b"The Quick  brown\tfox.\nJumps, over 3.14 (lazy) dogs...", "Na\u00efve \u00c9t\u00e9,x a.b,c \u6f22\u5b57 don't_stop\r\n#1!".encode()]
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, unit long, offset long, used int, closed boolean"
 
@@ -43,10 +48,11 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Encoder:
     """Token ids as little-endian uint32 bytes.
 
-    The tokenizer's own pre-splitting never joins text across white space, so runs without
-    ASCII white space (lower-cased, with a full stop or comma after a letter set apart) are
-    encoded once and remembered. Texts that may hold special-token
-    strings go to the tokenizer whole.
+    Runs without ASCII white space (lower-cased) are remembered. The new ones of some texts are taken
+    apart before a full stop or comma after a letter, and new parts are encoded in one call. That
+    holds for tokenizers that lower-case, split at white space and drop it, and split there; it is
+    tried on probes, and texts go to any other tokenizer whole. So do texts that may hold
+    special-token strings.
     """
 
     def __init__(self, path: str):
@@ -58,23 +64,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()] or [b"\x00\x00"]
         self.cache: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        if any(s in text for s in self.special):
-            return self._ids(text.decode("utf-8", "replace"))
-        words = BEFORE_STOP.sub(rb"\1 \2", text.translate(ASCII_LOWER)).split()
+        self.by_word = all(self._ids(p.decode()) == next(self._by_word([p])) for p in PROBES)
+        self.cache.clear()
+
+    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text; words are looked up for GROUP_BYTES of texts at a time."""
+        group, size = [], 0
+        for text in texts:
+            if not self.by_word or any(s in text for s in self.special):
+                yield from self._by_word(group)
+                group, size = [], 0
+                yield self._ids(text.decode("utf-8", "replace"))
+                continue
+            group.append(text)
+            size += len(text)
+            if size >= GROUP_BYTES:
+                yield from self._by_word(group)
+                group, size = [], 0
+        yield from self._by_word(group)
+
+    def _by_word(self, texts: list[bytes]) -> Iterator[bytes]:
         cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        missing = list({w for w in words if w not in cache})
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-        found = {w: _pack(e.ids) for w, e in zip(missing, encoded, strict=True)}
+        words = [text.translate(ASCII_LOWER).split() for text in texts]
+        parts = {w: BEFORE_STOP.sub(rb"\1 \2", w).split() for w in set().union(*words).difference(cache)}
+        found = self._encoded(list(set().union(*parts.values()).difference(cache)))
+        for w, own in parts.items():
+            if len(own) > 1:
+                found[w] = b"".join([found[p] if p in found else cache[p] for p in own])
         if len(cache) + len(found) <= CACHE_ENTRIES:
             cache.update(found)
-            return b"".join([cache[w] for w in words])
-        return b"".join([found[w] if w in found else cache[w] for w in words])
+            for own in words:
+                yield b"".join(map(cache.__getitem__, own))
+        else:
+            for own in words:
+                yield b"".join([found[w] if w in found else cache[w] for w in own])
+
+    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        if not words:
+            return {}
+        texts = [w.decode("utf-8", "replace") for w in words]
+        one = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = _pack(one.ids)
+        # A token belongs to the word that its first character lies in.
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        cut = (4 * np.searchsorted(np.array([a for a, _ in one.offsets], np.int64), ends)).tolist()
+        return {w: ids[a:b] for w, a, b in zip(words, [0, *cut], cut, strict=False)}
 
     def _ids(self, text: str) -> bytes:
         return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -169,8 +203,8 @@ def _pieces(path: str, size: int, windows: int, min_cut: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 7 + [pa.int32(), pa.bool_()], strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or b"") + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode([text or b"" for text in batch.column(1).to_pylist()]), strict=True):
+                ids += end
                 total = len(ids) // 4
                 crcs: dict[int, int] = {}
                 packer.add((doc_id, total, crcs), total)
