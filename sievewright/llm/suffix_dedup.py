@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import materialize
+from .common import discard, materialize, release
 
 LENGTH = 400
 GRAM = 160
@@ -250,22 +250,42 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(t1, t2, found): per distinct text with repeats, its suffixes [first, last] that start a repeated string."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).filter(F.length("text") >= LENGTH)
     texts = texts.select("text", *text_key(F.col("text")))
+    spark = docs.sparkSession
     every = materialize(texts.mapInArrow(_runs, RUNS), "runs")
-    kinds = every.groupBy("g", "r1", "r2").agg(F.count("*").alias("n"))
+    # Most anchors occur once; their runs have no repeat and take no further part.
+    lively = materialize(every.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "anchors")
+    release(spark)
+    some = materialize(every.join(lively, "g", "left_semi"), "runs")
+    discard(every)
+    discard(lively)
+    release(spark)
+    kinds = some.groupBy("g", "r1", "r2").agg(F.count("*").alias("n"))
     # Of buckets with several kinds of run, one run per kind is looked into.
     mixed = kinds.groupBy("g").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("g")
+    open_ = some.join(mixed, "g", "left_semi").groupBy("g", "r1", "r2").agg(F.min(F.struct("t1", "t2", "first", "last", "anchor")).alias("one")).select("one.*")
+    wanted = materialize(open_.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("wanted")), "wanted")
+    del open_
+    release(spark)
+    found = materialize(_looked_into(texts, wanted), "found")
+    discard(wanted)
+    release(spark)
     whole = kinds.filter("n > 1").select("r1", "r2")
-    settled = every.join(whole, ["r1", "r2"]).select("t1", "t2", "first", "last")
-    open_ = every.join(mixed, "g", "left_semi").groupBy("g", "r1", "r2").agg(F.min(F.struct("t1", "t2", "first", "last", "anchor")).alias("one")).select("one.*")
-    wanted = open_.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("wanted"))
-    parts = texts.join(wanted, ["t1", "t2"]).select("text", "t1", "t2", "wanted").mapInArrow(_parts, PARTS)
-    # Copies of one text bring equal parts, which the order puts side by side; _sort takes one of them.
-    found = parts.repartition("c1", "c2").sortWithinPartitions("c1", "c2", "t1", "t2", "at").mapInArrow(_sort, FOUND)
-    found = materialize(found, "found")
+    settled = some.join(whole, ["r1", "r2"]).select("t1", "t2", "first", "last")
     big = found.filter("s1 IS NOT NULL")
     many = big.groupBy("s1", "s2").agg(F.count("*").alias("n")).filter("n > 1").select("s1", "s2")
-    found = found.filter("s1 IS NULL").select("t1", "t2", "first", "last").unionByName(big.join(many, ["s1", "s2"]).select("t1", "t2", "first", "last"))
-    return settled.unionByName(found).distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    sorted_ = found.filter("s1 IS NULL").select("t1", "t2", "first", "last").unionByName(big.join(many, ["s1", "s2"]).select("t1", "t2", "first", "last"))
+    out = materialize(settled.unionByName(sorted_).distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("found")), "spans")
+    discard(some)
+    discard(found)
+    del kinds, mixed, whole, settled, big, many, sorted_
+    release(spark)
+    return out
+
+
+def _looked_into(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    parts = texts.join(wanted, ["t1", "t2"]).select("text", "t1", "t2", "wanted").mapInArrow(_parts, PARTS)
+    # Copies of one text bring equal parts, which the order puts side by side; _sort takes one of them.
+    return parts.repartition("c1", "c2").sortWithinPartitions("c1", "c2", "t1", "t2", "at").mapInArrow(_sort, FOUND)
 
 
 def _removed(found: list | None) -> list[tuple[int, int]]:
