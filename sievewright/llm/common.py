@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -55,8 +56,11 @@ def bucketed(parts, name: str, key: str, buckets: int) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets the driver drop the shuffle files of finished jobs that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()  # events of the last job refer to its plan
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def discard(df: DataFrame) -> None:
