@@ -102,3 +102,12 @@ def test_private_addresses(spark):
 def test_markdown_clean_drops_nested_lines(spark):
     df = spark.createDataFrame([(1, "---\nmodel: a\n  b: 1\n\n# c\ntitle: t\n---\nbody"), (2, "---\nllm: x\n---\n\nbody"), (3, "plain"), (4, None)], "doc_id long, text string")
     assert {x.doc_id: x.text for x in web.clean_markdown(df).collect()} == {1: "---\ntitle: t\n---\nbody", 2: "body", 3: "plain", 4: None}
+
+
+def test_rows_with_one_id_stay_apart(spark):
+    rows = [(1, "a\u200bb"), (1, "c\u200bd"), (None, "x\u200by"), (None, None), (2, "\U0001f525\u200b\u200b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id or 0, x.text or "", x.removed_count) for x in text.clean(df).collect())
+    assert got == [(0, "", 0), (0, "xy", 1), (1, "ab", 1), (1, "cd", 1), (2, "\U0001f525", 2)]
+    assert [x.sample_offsets for x in text.hits(df).filter("doc_id = 2").collect()] == [[2, 3]]
+    assert text.clean(df.limit(0)).count() == 0
