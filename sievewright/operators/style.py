@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}'-]*"
 WINDOW = 50
@@ -79,33 +84,76 @@ def once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
-def burstiness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_sentences, cv: sample deviation over mean of the sentences' word counts."""
-    split = docs.select(id_col, once(sentence_list(F.col(text_col))).alias("s"))
-    counted = split.select(id_col, F.size("s").alias("n_sentences"), once(F.filter(F.transform("s", lambda x: F.regexp_count(x, F.lit(WORD)).cast("double")), lambda x: x > 0)).alias("n"))
-    mean = F.aggregate("n", F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("n"), F.lit(1))
-    meant = counted.select(id_col, "n_sentences", "n", once(mean).alias("mean"))
+def _with_burstiness(df: DataFrame) -> DataFrame:
+    """df (with a text) and n_sentences, cv."""
+    split = df.select("*", once(sentence_list(F.col("text"))).alias("s"))
+    counted = split.select("*", F.size("s").alias("n_sentences"), once(F.filter(F.transform("s", lambda x: F.regexp_count(x, F.lit(WORD)).cast("double")), lambda x: x > 0)).alias("n")).drop("s")
+    meant = counted.select("*", once(F.aggregate("n", F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("n"), F.lit(1))).alias("mean"))
     squares = F.aggregate("n", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
     cv = F.when(F.size("n") < 2, 0.0).otherwise(F.sqrt(squares / F.greatest(F.size("n") - 1, F.lit(1))) / F.nullif("mean", F.lit(0.0)))
-    return meant.select(id_col, "n_sentences", F.coalesce(cv, F.lit(0.0)).alias("cv"))
+    return meant.withColumn("cv", F.coalesce(cv, F.lit(0.0))).drop("n", "mean")
+
+
+def burstiness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_sentences, cv: sample deviation over mean of the sentences' word counts."""
+    return _with_burstiness(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select(F.col("id").alias(id_col), "n_sentences", "cv")
+
+
+def moving(words: list[str], window: int) -> float:
+    """Mean share of distinct words over all windows; of a shorter text, its own share."""
+    held: dict[str, int] = {}
+    total = 0
+    for k, w in enumerate(words):
+        held[w] = held.get(w, 0) + 1
+        if k >= window:
+            old = words[k - window]
+            if held[old] == 1:
+                del held[old]
+            else:
+                held[old] -= 1
+        if k >= window - 1:
+            total += len(held)
+    n = len(words)
+    return total / (window * (n - window + 1)) if n > window else len(held) / n
+
+
+def _with_ratio(df: DataFrame, window: int) -> DataFrame:
+    """df (with words) and mattr (null where there is no word); the words go."""
+    keep = [c for c in df.columns if c != "words"]
+    at = df.columns.index("words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ratio = pa.array([moving(w, window) if w else None for w in b.column(at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), ratio], names=[*keep, "mattr"])
+
+    return df.mapInArrow(run, StructType([*(df.schema[c] for c in keep), StructField("mattr", DoubleType())]))
 
 
 def moving_ratio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """id, mattr: by a closed form over each word's previous place, with no window state."""
-    words = docs.select(id_col, F.posexplode(word_list(F.col(text_col))).alias("p", "word"))
-    own = Window.partitionBy(id_col, "word").orderBy("p")
-    sized = words.withColumn("j", F.col("p") + 1).withColumn("before", F.coalesce(F.lag("j").over(own), F.lit(0)))
-    sized = sized.join(words.groupBy(id_col).agg(F.count("*").alias("n")), id_col)
-    k = window
-    counted = F.expr(f"greatest(0, least(j, n - {k} + 1) - greatest(1, j - {k} + 1, before + 1) + 1)")
-    share = F.when(F.col("n") > k, counted / (k * (F.col("n") - k + 1))).otherwise(F.when(F.col("before") == 0, 1.0).otherwise(0.0) / F.col("n"))
-    return sized.groupBy(id_col).agg(F.sum(share).alias("mattr"))
+    """id, mattr of each row that has words."""
+    words = docs.select(F.col(id_col).alias("id"), word_list(F.col(text_col)).alias("words"))
+    return _with_ratio(words, window).filter("mattr IS NOT NULL").withColumnRenamed("id", id_col)
+
+
+def fixed_word(body: str) -> str:
+    """The longest word that any match of the pattern holds."""
+    while (plain := re.sub(r"\([^()]*\)[*+?]?|\[[^\]]*\][*+?]?", " ", body)) != body:
+        body = plain
+    return max(re.findall(r"[a-z]+", re.sub(r"\w\?", " ", body)), key=len)
+
+
+def _counts(text: Column, low: Column) -> list[tuple[str, float, Column]]:
+    """A phrase is searched only in texts that hold its fixed word; lower-casing can add such texts but lose none."""
+    return [(label, weight, F.when(low.contains(fixed_word(body)), F.regexp_count(text, F.lit(phrase_pattern(body, after)))).otherwise(0)) for label, weight, body, after in PHRASES]
 
 
 def phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, phrase, n, weight of every phrase found."""
-    found = [F.struct(F.lit(label).alias("phrase"), F.regexp_count(text_col, F.lit(phrase_pattern(body, after))).alias("n"), F.lit(weight).alias("weight")) for label, weight, body, after in PHRASES]
-    return docs.select(id_col, F.explode(F.filter(F.array(*found), lambda x: x["n"] > 0)).alias("x")).select(id_col, "x.phrase", F.col("x.n").cast("long").alias("n"), "x.weight")
+    low = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), once(F.lower(text_col)).alias("low"))
+    found = [F.struct(F.lit(label).alias("phrase"), n.cast("long").alias("n"), F.lit(weight).alias("weight")) for label, weight, n in _counts(F.col("text"), F.col("low"))]
+    every = low.select("id", once(F.array(*found)).alias("found"))
+    return every.select("id", F.explode("found").alias("x")).filter("x.n > 0").select(F.col("id").alias(id_col), "x.phrase", "x.n", "x.weight")
 
 
 BURST = "CASE WHEN cv < 0.25 THEN 0.95D WHEN cv < 0.35 THEN 0.8D WHEN cv < 0.45 THEN 0.5D WHEN cv < 0.55 THEN 0.25D ELSE 0.05D END"
@@ -116,10 +164,12 @@ DAMP = f"CASE WHEN n_words < {FULL_WORDS} THEN 0.4D + 0.6D * ((n_words - {LEAST_
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", raw: bool = False) -> DataFrame:
     """The style score with its parts; below 30 words there is none."""
-    text = F.col(text_col)
-    basic = docs.select(id_col, F.size(word_list(text)).alias("n_words")).join(burstiness(docs, id_col, text_col), id_col)
-    weight = phrases(docs, id_col, text_col).groupBy(id_col).agg(F.sum(F.col("n") * F.col("weight")).alias("weighted"))
-    all_ = basic.join(moving_ratio(docs, id_col, text_col), id_col, "left").join(weight, id_col, "left").withColumn("mattr", F.coalesce("mattr", F.lit(0.0)))
+    rows = _with_burstiness(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    rows = rows.select("*", once(F.lower("text")).alias("low"))
+    weighted = reduce(Column.__add__, [n * weight for _, weight, n in _counts(F.col("text"), F.col("low"))])
+    rows = rows.select("id", "n_sentences", "cv", once(weighted).alias("weighted"), once(word_list(F.col("text"))).alias("words"))
+    all_ = _with_ratio(rows.withColumn("n_words", F.size("words")), WINDOW)
+    all_ = all_.select(F.col("id").alias(id_col), "n_words", "n_sentences", "cv", "weighted", F.coalesce("mattr", F.lit(0.0)).alias("mattr"))
     all_ = all_.withColumn("density", F.coalesce("weighted", F.lit(0.0)) / (F.greatest("n_words", F.lit(1)) / 100.0))
     exact = F.expr(f"least(1.0D, greatest(0.0D, ({BURST} * 0.45D + {DENSE} * 0.45D + {DIVERSE} * 0.1D) * {DAMP}))")
     ok = F.col("n_words") >= LEAST_WORDS

@@ -111,3 +111,12 @@ def test_rows_with_one_id_stay_apart(spark):
     assert got == [(0, "", 0), (0, "xy", 1), (1, "ab", 1), (1, "cd", 1), (2, "\U0001f525", 2)]
     assert [x.sample_offsets for x in text.hits(df).filter("doc_id = 2").collect()] == [[2, 3]]
     assert text.clean(df.limit(0)).count() == 0
+
+
+def test_style_rows_with_one_id_stay_apart(spark):
+    a, b = " ".join(f"w{k}" for k in range(60)), "delve into it. " * 20
+    df = spark.createDataFrame([(1, a), (1, b), (None, a), (2, None), (3, "")], "doc_id long, text string")
+    got = sorted((x.doc_id or 0, x.n_words, x.lexical_diversity) for x in style.score(df).collect() if x.doc_id not in (2, 3))
+    assert got == [(0, 60, 1.0), (1, 60, round(3 / 50, 4)), (1, 60, 1.0)]
+    assert [(x.phrase, x.n) for x in style.phrases(df).collect()] == [("delve into", 20)]
+    assert {style.fixed_word(body) for _, _, body, _ in style.PHRASES} >= {"navigat", "harness", "only", "multifaceted"}
