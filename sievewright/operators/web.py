@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import markers as m
 
@@ -64,28 +63,41 @@ FRONT = r"^---\r?\n((?s:.*?))\r?\n---[ \t]*(?:\r?\n|$)"
 KEY = r"^([A-Za-z0-9_.-]+)[ \t]*:"
 
 
+def _front_line(line: Column) -> Column:
+    """(top, key, value, code) of one line of a frontmatter block."""
+    top = ~line.rlike(r"^[ \t-]") & (F.trim(line) != "") & ~F.ltrim(line).startswith("#")
+    key = F.when(top & line.rlike(KEY), F.regexp_extract(line, KEY, 1))
+    value = F.trim(F.substr(line, F.instr(line, ":") + 1))
+    named = F.lower(key).isin(m.AI_KEYS) | key.rlike(m.AI_NAME)
+    code = F.when(named, "markdown.frontmatter.generator").when(key.isNotNull() & value.rlike(m.AI_NAME), "markdown.frontmatter.value")
+    return F.struct(top.alias("top"), key.alias("key"), value.alias("value"), code.alias("code"))
+
+
 def front_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos, line, key, value, code, confidence, identity) of each line of a frontmatter block."""
+    """(id, pos, line, key, top, value, code, confidence, identity) of each line of a frontmatter block."""
     block = F.regexp_extract(text_col, FRONT, 1)
     lines = docs.filter(F.col(text_col).rlike(FRONT)).select(id_col, F.posexplode(F.split(block, r"\r?\n")).alias("pos", "line"))
-    top = ~F.col("line").rlike(r"^[ \t-]") & (F.trim("line") != "") & ~F.ltrim("line").startswith("#")
-    lines = lines.withColumn("key", F.when(top & F.col("line").rlike(KEY), F.regexp_extract("line", KEY, 1)))
-    lines = lines.withColumn("top", top).withColumn("value", F.expr("trim(substring(line, instr(line, ':') + 1))"))
-    named = F.lower("key").isin(m.AI_KEYS) | F.col("key").rlike(m.AI_NAME)
-    lines = lines.withColumn("code", F.when(named, "markdown.frontmatter.generator").when(F.col("key").isNotNull() & F.col("value").rlike(m.AI_NAME), "markdown.frontmatter.value"))
-    return lines.withColumn("confidence", F.when(named, "confirmed").when(F.col("code").isNotNull(), "probable")).withColumn("identity", F.coalesce(F.lower("key").isin(m.IDENTITY_KEYS), F.lit(False)))
+    lines = lines.withColumn("of", _front_line(F.col("line"))).select(id_col, "pos", "line", "of.key", "of.top", "of.value", "of.code")
+    confidence = F.when(F.col("code") == "markdown.frontmatter.generator", "confirmed").when(F.col("code").isNotNull(), "probable")
+    return lines.withColumn("confidence", confidence).withColumn("identity", F.coalesce(F.lower("key").isin(m.IDENTITY_KEYS), F.lit(False)))
 
 
 def clean_markdown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text): provenance keys and what is nested under them dropped; an emptied block goes whole."""
-    lines = front_lines(docs, id_col, text_col)
-    # Blank, comment and nested lines share the fate of the key above.
-    fate = F.last(F.when(F.col("top"), F.col("code").isNotNull()), ignorenulls=True).over(Window.partitionBy(id_col).orderBy("pos"))
-    kept = lines.withColumn("drop", F.coalesce(fate, F.lit(False))).filter("NOT drop").groupBy(id_col).agg(F.expr("array_join(transform(array_sort(collect_list(struct(pos, line))), x -> x.line), '\n')").alias("block"))
-    out = docs.join(kept, id_col, "left").withColumn("block", F.regexp_replace(F.coalesce("block", F.lit("")), r"^\n+|\n+$", ""))
+    """(id, text) of each row: provenance keys and what is nested under them dropped; an emptied block goes whole."""
+
+    def step(state: Column, line: Column) -> Column:
+        # Blank, comment and nested lines share the fate of the key above.
+        of = _front_line(line)
+        drop = F.when(of["top"], of["code"].isNotNull()).otherwise(state["drop"])
+        return F.struct(drop.alias("drop"), F.when(drop, state["kept"]).otherwise(F.concat(state["kept"], F.array(line))).alias("kept"))
+
+    lines = F.split(F.regexp_extract(text_col, FRONT, 1), r"\r?\n")
+    kept = F.aggregate(lines, F.struct(F.lit(False).alias("drop"), F.array().cast("array<string>").alias("kept")), step)["kept"]
+    block = F.regexp_replace(F.array_join(kept, "\n"), r"^\n+|\n+$", "")
     body = F.regexp_replace(text_col, FRONT, "")
-    has = F.col(text_col).rlike(FRONT)
-    return out.select(id_col, F.when(~has, F.col(text_col)).when(F.col("block") == "", F.regexp_replace(body, r"^\n+", "")).otherwise(F.concat(F.lit("---\n"), "block", F.lit("\n---\n"), body)).alias("text"))
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.explode(F.array(F.when(F.col(text_col).rlike(FRONT), block))).alias("block"), body.alias("body"))
+    text = F.when(F.col("block").isNull(), F.col("text")).when(F.col("block") == "", F.regexp_replace("body", r"^\n+", "")).otherwise(F.concat(F.lit("---\n"), "block", F.lit("\n---\n"), "body"))
+    return out.select(F.col("id").alias(id_col), text.alias("text"))
 
 
 SVG = {

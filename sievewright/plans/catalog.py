@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codepoints as cp
 from ..functions import markers as m
-from ..operators import audit, rewrite, style, text, web
+from ..operators import audit, rewrite, routing, style, text, web
 from . import seeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -498,11 +498,44 @@ def image_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(_images(spark, sf_dir), "name")
 
 
-@query("SELECT item_id, CAST(length(text) AS BIGINT) AS n FROM benchmark")
+_planted = "CASE doc_id % 5 WHEN 0 THEN '00FF41' WHEN 1 THEN 'C3A9C328' WHEN 2 THEN 'EDA080' WHEN 3 THEN 'E282' ELSE '' END"
+
+
+@query(f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN CAST(1 AS BIGINT) WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 0 END AS n_escaped, md5(encode(replace(text, 'e', 'E')) || unhex({_planted})) AS bytes_md5 FROM documents")
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text lengths after a lossless round trip through bytes."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.encode("text", "utf-8").alias("raw"))
-    return b.select("item_id", F.char_length(F.decode("raw", "utf-8")).cast("long").alias("n"))
+    """Documents with undecodable bytes at the end, rewritten as text and back: those bytes must survive."""
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.expr(f"concat(encode(text, 'utf-8'), unhex({_planted}))").alias("raw"))
+    upper = routing.through_codec(lambda t: t.replace("e", "E"))
+    return raw.select("doc_id", routing.escaped_bytes("raw").alias("n_escaped"), F.md5(upper("raw")).alias("bytes_md5"))
+
+
+# Contents that begin in several ways, and what a reader of the magic table expects of each.
+_starts = [
+    ("504B0304", "a ZIP container (DOCX, ODT, XLSX, PPTX, EPUB, JAR)", "text"), ("255044462D312E34", "a PDF", "container"), ("89504E470D0A1A0A", "a PNG image", "image"),
+    ("FFD8FFE0", "a JPEG image", "image"), ("1F8B08", "a gzip archive", "text"), ("4100", "binary data (contains NUL bytes)", "text"),
+    ("3C68746D6C3E", None, "container"), ("20203C21444F43545950452048544D4C3E", None, "container"), ("3C3F786D6C3F3E3C737667", None, "container"), ("", None, "text"),
+    ("7F454C46", "an ELF binary", "text"), ("0102030405060708", None, "text"),
+]
+_pick = lambda values: "CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN " + ("NULL" if v is None else f"'{v}'") for k, v in enumerate(values)) + " END"
+_blob = "concat(unhex({0}), encode(text, 'utf-8'))".format(_pick([x[0] for x in _starts]))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 12 = 11 AND 8.0 / least(8192, 8 + strlen(text)) > 0.05 THEN 'binary data (dense in control bytes)' ELSE {_pick([x[1] for x in _starts])} END AS looks_like, {_pick([x[2] for x in _starts])} AS kind FROM documents")
+def sniff_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.expr(_blob).alias("raw"))
+    return raw.select("doc_id", routing.sniff_binary(F.col("raw")).alias("looks_like"), routing.classify(F.col("raw"), F.lit(None).cast("string")).alias("kind"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_extract(url, '[^/]*$') IN ('', '.', '..') THEN NULL ELSE left(regexp_extract(url, '[^/]*$'), 255) END AS base, regexp_replace(url, '(\\.[^./]*)?$', '.cleaned\\1') AS cleaned FROM pages")
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", routing.safe_filename(F.col("url")).alias("base"), routing.cleaned_path(F.col("url")).alias("cleaned"))
+
+
+@query("SELECT doc_id, md5(nfc_normalize(text) || 'fix 1/2 A') AS text_md5 FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+def text_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compatibility forms at the end of plain texts become plain."""
+    plain = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return plain.select("doc_id", F.md5(routing.nfkc(F.concat("text", F.lit("\ufb01x 1/2 \uff21")))).alias("text_md5"))
 
 
 _office = """CASE doc_id % 2
