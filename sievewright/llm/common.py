@@ -75,6 +75,21 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Size of a table of ours in its files."""
+    spark = df.sparkSession
+    total = 0
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        total += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return total
+
+
+def sent_if_small(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """A stored table, to be broadcast where its files are known to hold at most so many bytes; beyond, joins with it shuffle."""
+    return F.broadcast(df) if stored_bytes(df) <= most else df
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

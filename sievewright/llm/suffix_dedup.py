@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import discard, materialize, release
+from .common import discard, materialize, release, sent_if_small
 
 LENGTH = 400
 GRAM = 160
@@ -255,7 +255,7 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # Most anchors occur once; their runs have no repeat and take no further part.
     lively = materialize(every.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "anchors")
     release(spark)
-    some = materialize(every.join(lively, "g", "left_semi"), "runs")
+    some = materialize(every.join(sent_if_small(lively), "g", "left_semi"), "runs")
     discard(every)
     discard(lively)
     release(spark)
@@ -283,7 +283,7 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _looked_into(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    parts = texts.join(wanted, ["t1", "t2"]).select("text", "t1", "t2", "wanted").mapInArrow(_parts, PARTS)
+    parts = texts.join(sent_if_small(wanted), ["t1", "t2"]).select("text", "t1", "t2", "wanted").mapInArrow(_parts, PARTS)
     # Copies of one text bring equal parts, which the order puts side by side; _sort takes one of them.
     return parts.repartition("c1", "c2").sortWithinPartitions("c1", "c2", "t1", "t2", "at").mapInArrow(_sort, FOUND)
 
