@@ -178,6 +178,19 @@ def test_jaccard_join_through_null_ids(spark):
     assert sorted(i for i in kept if i is not None) == [1, 10, 20, 30] and kept.count(None) == 6
 
 
+def test_jaccard_join_shuffles_its_ring_pairs_in_slices(spark):
+    n = 60
+    docs = spark.createDataFrame([(i, " ".join(f"d{i // 2}w{k}" for k in range(n + 1)) + f" end{i % 2}") for i in range(80)], DOCS)
+    store, j = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in j.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(j.double, 0), None))}
+    before = stages()
+    texts = jaccard_join._distinct(docs, "doc_id", "text")
+    assert {r.shared for r in jaccard_join._shared(texts, None).collect()} <= set(range(n // 2, n + 2))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    wrote = [v for k, v in stages().items() if k not in before]
+    assert 0 < max(wrote) < 0.4 * 80 * (n + 1)
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 
