@@ -342,6 +342,48 @@ def test_suffix_dedup(spark, monkeypatch, block):
     assert suffix_dedup.report(empty(spark, DOCS)).count() == 0
 
 
+def test_suffix_dedup_of_passages_below_400_bytes(spark, tmp_path):
+    from sievewright.llm.queries import op9_suffix_dedup
+
+    r = random.Random(9)
+    w = lambda n: [r.choice("abcdefgh") + str(r.randrange(99)) for _ in range(n)]
+    parts = [w(n) for n in (50, 51, 52, 60, 75, 120)]
+    docs = []
+    for _ in range(60):
+        own = []
+        for _ in range(r.randint(1, 4)):
+            x, p = r.random(), r.choice(parts)
+            i = r.randrange(len(p))
+            own += p if x < 0.4 else [*p[:i], "X", *p[i + 1 :]] if x < 0.6 else ["la"] * r.randint(40, 70) if x < 0.7 else w(r.randint(1, 80))
+        docs.append("".join(x + r.choice([" ", " ", " ", "\n", " \t"]) for x in own))
+    docs += [docs[3], docs[5], "", None, "é " * 51, "é " * 52]
+    raw = [(t or "").encode() for t in docs]
+    split = [t.split() for t in raw]
+    seen = collections.Counter(tuple(t[i : i + 51]) for t in split for i in range(len(t) - 50))
+    strings = collections.Counter(t[i : i + 400] for t in raw for i in range(len(t) - 399))
+    spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)], DOCS + ", passages int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in op9_suffix_dedup(spark, str(tmp_path)).collect()}
+    short = 0
+    for i, (t, own) in enumerate(zip(raw, split, strict=True)):
+        gone, places, at = np.zeros(len(t) + 1, bool), [], 0
+        for x in own:
+            at = t.index(x, at)
+            places.append((at, at + len(x)))
+            at += len(x)
+        for k in range(len(t) - 399):
+            if strings[t[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        before = gone.sum()
+        for k in range(len(own) - 50):
+            if seen[tuple(own[k : k + 51])] > 1:
+                gone[places[k][0] : places[k + 50][1]] = True
+        short += gone.sum() > before
+        kept = bytes(x for x, g in zip(t, gone, strict=False) if not g)
+        want = (len(t), int(gone.sum()), int((gone[1:] < gone[:-1]).sum()), hashlib.sha256(kept).hexdigest())
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want, i
+    assert short > 20
+
+
 # 10 --------------------------------------------------------------------------------------------
 
 
