@@ -416,3 +416,18 @@ def test_lm_scoring(spark, monkeypatch, shard):
         x = got[i]
         assert (x.n_tokens, x.n_known, x.train_tokens) == (len(s), sum(c[w] > 0 for w in s), n)
         assert abs(x.base_score - base_score) < 1e-9 and abs(x.score - score) < 1e-6
+
+
+def test_lm_scoring_shuffles_held_out_texts_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 40)
+    monkeypatch.setattr(lm_score, "ROUND", 25, raising=False)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k * k) % 11}" for k in range(20)) + f" d{i}") for i in range(200)], DOCS)
+    store, j = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in j.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(j.double, 0), None))}
+    before = stages()
+    out = lm_score.scores(docs, F.col("doc_id") % 7 != 2).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    shards = -(-out[0].train_tokens // 40)
+    held = sum(not r.learns for r in out)
+    assert len(out) == 200 and shards * held > 2500
+    assert 0 < max(v for k, v in stages().items() if k not in before) < 0.8 * shards * held
