@@ -29,9 +29,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from .common import materialize
+from .common import hold, materialize
 
 WINDOW = 8
 #: Words of benchmark text in one automaton.
@@ -192,19 +191,23 @@ class _Lazy:
 FOUND = "spans array<array<int>>, items array<string>, n_words long"
 
 
-def find(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with ``spans`` (merged hit word spans), ``items`` (ids hit, sorted as strings) and ``n_words``."""
+def find(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, cut: int | None = None) -> DataFrame:
+    """docs with ``spans`` (merged hit word spans), ``items`` (ids hit, sorted as strings) and ``n_words``.
+
+    cut: spans of so many words or more are taken out of the text, by the pass that finds them (another
+    Python function would need more workers, which stay in memory).
+    """
     docs = docs.drop("spans", "items", "n_words")
     parts = shards(bench, item_id, item_text, window) or [[]]
     out = docs
     for k, part in enumerate(parts):
         if k:
             out = materialize(out, "scanned")
-        out = _pass(out, list(part), text_col, window, bool(k))
+        out = _pass(out, list(part), text_col, window, bool(k), cut if k == len(parts) - 1 else None)
     return out
 
 
-def _pass(docs: DataFrame, items: list, text_col: str, window: int, more: bool) -> DataFrame:
+def _pass(docs: DataFrame, items: list, text_col: str, window: int, more: bool, cut: int | None) -> DataFrame:
     spark = docs.sparkSession
     key = hashlib.sha256(json.dumps([[i, [w.hex() for w in s]] for i, s in items]).encode() + b"%d" % window).hexdigest()
     held = spark.sparkContext.broadcast(items)
@@ -212,9 +215,10 @@ def _pass(docs: DataFrame, items: list, text_col: str, window: int, more: bool)
     n = len(docs.columns) - 3 * more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(_automata)
         sam = _automaton(key, held.value, window)
         for b in batches:
-            spans, hit, counts = [], [], []
+            spans, hit, counts, kept = [], [], [], []
             for k, text in enumerate(b.column(at).cast(pa.binary()).to_pylist()):
                 seq = words(text)
                 s, h = sam.scan(seq)
@@ -224,7 +228,13 @@ def _pass(docs: DataFrame, items: list, text_col: str, window: int, more: bool)
                 spans.append(s)
                 hit.append(sorted(h))
                 counts.append(len(seq))
-            cols = [b.column(i) for i in range(n)] + [pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(hit, pa.list_(pa.string())), pa.array(counts, pa.int64())]
+                if cut is not None:
+                    drop = [x for x in s if x[1] - x[0] >= cut]
+                    kept.append(_remove(text, drop) if drop else text)
+            own = [b.column(i) for i in range(n)]
+            if cut is not None:
+                own[at] = pa.array(kept, pa.binary()).cast(own[at].type, safe=False)
+            cols = own + [pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(hit, pa.list_(pa.string())), pa.array(counts, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:n], "spans", "items", "n_words"])
 
     schema = docs.schema
@@ -249,26 +259,14 @@ def hit_words() -> F.Column:
 def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_span: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """docs without hit spans of ``max_span`` words or more, and without documents hit beyond ``max_coverage``; columns as they came."""
     names = docs.columns
-    found = find(docs, bench, text_col, item_id, item_text, window).filter(hit_words() <= max_coverage * F.col("n_words"))
-    drop = F.filter("spans", lambda s: s[1] - s[0] >= max_span)
-    cut = F.when(F.size(drop) > 0, _remove(F.col(text_col), drop)).otherwise(F.col(text_col))
-    return found.withColumn(text_col, cut).select(*names)
-
-
-@F.pandas_udf(StringType())
-def _remove(texts, spans):
-    import pandas as pd
-
-    out = []
-    for text, drop in zip(texts, spans, strict=True):
-        if text is None or not len(drop):
-            out.append(text)
-            continue
-        raw = text.encode()
-        at = [m.span() for m in WORD.finditer(raw.translate(NORMAL))]
-        done, kept = 0, []
-        for a, b in drop:
-            kept.append(raw[done : at[a][0]])
-            done = at[b - 1][1]
-        out.append(b"".join([*kept, raw[done:]]).decode("utf-8", "replace"))
-    return pd.Series(out, dtype=object)
+    found = find(docs, bench, text_col, item_id, item_text, window, max_span).filter(hit_words() <= max_coverage * F.col("n_words"))
+    return found.select(*names)
+
+
+def _remove(raw: bytes, drop: list[list[int]]) -> bytes:
+    at = [m.span() for m in WORD.finditer(raw.translate(NORMAL))]
+    done, kept = 0, []
+    for a, b in drop:
+        kept.append(raw[done : at[a][0]])
+        done = at[b - 1][1]
+    return b"".join([*kept, raw[done:]])

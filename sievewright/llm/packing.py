@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialize
+from .common import ASCII_LOWER, hold, materialize, trim
 
 MAX_LENGTH = 2048
 OPEN_WINDOWS = 64
@@ -35,7 +35,9 @@ END_ID = 1
 #: Words remembered by a worker; later ones are encoded each time.
 CACHE_ENTRIES = 1_200_000
 #: Bytes of text whose new words are encoded together.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
+#: Rows of a batch that are Python objects at a time.
+SLICE = 512
 #: The tokenizer splits between a letter and a run of punctuation, so a space there changes nothing.
 BEFORE_STOP = re.compile(rb"([a-z])([.,])")
 MERGE_GROUP = 8192
@@ -187,6 +189,7 @@ _encoders: dict[str, Encoder] = {}
 
 def _pieces(path: str, size: int, windows: int, min_cut: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(_encoders)
         encode = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         base = TaskContext.get().partitionId() << 33
         packer = Packer(size, windows, min_cut)
@@ -203,14 +206,17 @@ def _pieces(path: str, size: int, windows: int, min_cut: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 7 + [pa.int32(), pa.bool_()], strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode([text or b"" for text in batch.column(1).to_pylist()]), strict=True):
-                ids += end
-                total = len(ids) // 4
-                crcs: dict[int, int] = {}
-                packer.add((doc_id, total, crcs), total)
-                for start, length in packer.cuts:
-                    crcs[start] = zlib.crc32(ids[4 * start : 4 * (start + length)])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode([text or b"" for text in part.column(1).to_pylist()]), strict=True):
+                    ids += end
+                    total = len(ids) // 4
+                    crcs: dict[int, int] = {}
+                    packer.add((doc_id, total, crcs), total)
+                    for start, length in packer.cuts:
+                        crcs[start] = zlib.crc32(ids[4 * start : 4 * (start + length)])
             yield flush()
+        trim()
         packer.finish()
         yield flush()
 

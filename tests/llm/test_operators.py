@@ -92,6 +92,20 @@ def test_decontamination(spark, monkeypatch):
     assert kept.columns == df.columns and kept.count() == len(docs)
 
 
+def test_decontamination_cuts_in_the_pass_that_finds(spark, monkeypatch):
+    item = " ".join(f"w{k}" for k in range(12))
+    texts = [f"Before, {item.upper()}! After \u00e9 more words that stay and stay.", f"{item} x", "w0 w1 w2", None, ""]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS + ", items string")
+    bench = spark.createDataFrame([("a", item), ("b", "w0 w1"), ("c", " ".join(f"v{k}" for k in range(40)))], "item_id string, text string")
+    for limit in (200_000, 30):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", limit)
+        out = decontaminate.clean(df, bench, max_coverage=0.7)
+        # A second Python function in a stage takes more workers, which stay in an executor's memory.
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1
+        assert {r.doc_id: r.text for r in out.collect()} == {0: "Before, ! After \u00e9 more words that stay and stay.", 2: "w0 w1 w2", 3: None, 4: ""}
+
+
 def test_decontamination_of_long_items_by_wide_windows(spark):
     long = [f"w{k}" for k in range(20_100)]
     docs = spark.createDataFrame([(k, " ".join(["x", *long[k : k + 12], "y"])) for k in (0, 19_988, 19_990, 19_992, 19_993, 20_088)], DOCS)
@@ -130,6 +144,28 @@ def test_packing_keeps_every_id_once(spark):
     assert packing.pack_documents(empty(spark, DOCS), path).count() == 0
 
 
+def test_packing_begins_without_what_other_operators_left_in_a_worker(monkeypatch):
+    import types
+
+    import pyarrow as pa
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (60, 0, 700, 2100)] + [None]
+    passages = pa.RecordBatch.from_arrays([pa.array([(t or "").encode() for t in texts]), *[pa.array(range(5), pa.int64())] * 2], names=["text", "t1", "t2"])
+    found = sum(b.num_rows for b in suffix_dedup._word_runs(iter([passages])))
+    assert found and suffix_dedup._hashes
+    monkeypatch.setattr(packing, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array([t and t.encode() for t in texts], pa.binary())], names=["doc_id", "text"])
+    pack = lambda: pa.Table.from_batches(packing._pieces(path, 2048, 4, 32)(iter([docs])))
+    whole = pack()
+    assert not suffix_dedup._hashes and set(whole["doc_id"].to_pylist()) == set(range(5))
+    known = packing._encoders[path]
+    monkeypatch.setattr(packing, "SLICE", 2)
+    assert pack().equals(whole) and packing._encoders[path] is known
+    assert sum(b.num_rows for b in suffix_dedup._word_runs(iter([passages]))) == found and not packing._encoders
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 
