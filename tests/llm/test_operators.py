@@ -467,3 +467,65 @@ def test_lm_scoring_shuffles_held_out_texts_in_rounds(spark, monkeypatch):
     held = sum(not r.learns for r in out)
     assert len(out) == 200 and shards * held > 2500
     assert 0 < max(v for k, v in stages().items() if k not in before) < 0.8 * shards * held
+
+
+@pytest.mark.parametrize("step", [1, 7, 1_000_000])
+def test_lm_shard_is_right_in_steps(monkeypatch, step):
+    monkeypatch.setattr(lm_score, "STEP", step)
+    r = np.random.default_rng(step)
+    for k in range(30):
+        words = lm_score.fold(r.integers(-(2**40), 2**40, r.integers(1, 8)))
+        texts = [words[r.integers(0, len(words), r.integers(0, 25))] for _ in range(r.integers(1, 30))]
+        texts += texts[: 3 * (k % 2)]
+        starts = [np.array([0, *t]) for t in texts]
+        seen = collections.Counter(tuple(s[a:b].tolist()) for s in starts for b in range(1, len(s) + 1) for a in range(b))
+        asked = [*starts[:4], np.array([0, *words[r.integers(0, len(words), 9)]]), np.array([0, 5, words[0]])]
+        before = np.concatenate([np.arange(len(s)) for s in asked])
+        length, count = lm_score.Shard(list(texts)).search(np.concatenate(asked), before)
+        want = []
+        for s in asked:
+            for b in range(1, len(s) + 1):
+                n = next((b - a for a in range(b) if tuple(s[a:b].tolist()) in seen), 0)
+                want.append((n, seen[tuple(s[b - n : b].tolist())] if n else sum(map(len, starts))))
+        assert list(zip(length.tolist(), count.tolist(), strict=True)) == want
+
+
+def _peak(run):
+    import gc
+    import tracemalloc
+
+    gc.collect()
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_lm_shards_and_blocks_are_built_in_bounded_memory(monkeypatch):
+    import types
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm_score, "STEP", 20_000)
+    monkeypatch.setattr(lm_score, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    r = np.random.default_rng(3)
+    n = 400_000
+    texts = [r.integers(1, 3000, 400) for _ in range(n // 400)]
+    assert _peak(lambda: lm_score.Shard(texts)) < 32 * n  # ids, depths, ranks, order and open slots are 20 bytes a place
+    words = [f"w{k}" for k in range(3000)]
+    rows = [" ".join([words[k] for k in r.integers(0, 3000, 400)]).encode() for _ in range(n // 400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array([1, 0] * (len(rows) // 2), pa.int32()), pa.array(rows, pa.binary())], names=["t1", "t2", "l", "text"])
+    out = []
+    assert _peak(lambda: out.extend(lm_score._blocks(iter([batch])))) < 32 * n  # the hashes are 8 bytes a word
+    made = [x for b in out for x in b.to_pylist()]
+    known, counts = next(np.frombuffer(x["data"], np.int64).reshape(2, -1) for x in made if x["kind"] == 0)
+    want = collections.Counter()
+    for k, text in enumerate(rows):
+        want.update(lm_score.tokens(text).tolist() if k % 2 == 0 else [])
+    assert {w: c for w, c in zip(known.tolist(), counts.tolist(), strict=True) if c} == dict(want)
+    for x in made:
+        if x["kind"]:
+            ids = np.frombuffer(zlib.decompress(x["data"]), np.int32)
+            assert (known[ids] == lm_score.tokens(rows[x["t1"]])).all()
