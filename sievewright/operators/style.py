@@ -15,6 +15,8 @@ WORD = r"[\p{L}\p{N}][\p{L}\p{N}'-]*"
 WINDOW = 50
 LEAST_WORDS, FULL_WORDS = 30, 100
 LEFT, RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+#: White space of the SQL; Java's own class has the vertical tab as well.
+SPACE = r"[ \t\n\f\r]"
 
 #: (label, weight, pattern between word edges, pattern after the last edge); blanks stand for white space.
 PHRASES = [
@@ -46,7 +48,9 @@ PHRASES = [
 
 
 def phrase_pattern(body: str, after: str) -> str:
-    return "(?i)" + LEFT + body.replace(" ", r"\s+") + RIGHT + after
+    """Case is ignored as the SQL ignores it: the long s and the Kelvin sign count as letters too (Java's Unicode mode takes more)."""
+    inner = re.sub(r"(?<!\\)[sk]", lambda m: {"s": "[s\u017f]", "k": "[k\u212a]"}[m[0]], body).replace(r"[A-Za-z0-9_\s,]", "[A-Za-z0-9_\u017f\u212a\\s,]")
+    return ("(?i)" + LEFT + inner.replace(" ", r"\s+") + RIGHT + after).replace(r"\s", SPACE)
 
 
 def phrase_regex_re2(body: str, after: str) -> str:
@@ -61,7 +65,7 @@ def word_list(text: Column) -> Column:
 
 def sentence_list(text: Column) -> Column:
     """Sentences outside fenced blocks; a fence is a line that starts with three backticks."""
-    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+$", "")))
     # Fences open and close in turn: dropping every fenced block leaves the text between them.
     state = F.aggregate(
         lines,
@@ -71,7 +75,7 @@ def sentence_list(text: Column) -> Column:
     fenced = F.array_join(state["kept"], "\n")
     plain = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
     joined = F.when(text.contains("```"), fenced).otherwise(plain)
-    return F.filter(F.transform(F.split(joined, r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(joined, rf"(?<=[.!?]){SPACE}+|\n+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def cut(x: Column) -> Column:
@@ -88,9 +92,15 @@ def _with_burstiness(df: DataFrame) -> DataFrame:
     """df (with a text) and n_sentences, cv."""
     split = df.select("*", once(sentence_list(F.col("text"))).alias("s"))
     counted = split.select("*", F.size("s").alias("n_sentences"), once(F.filter(F.transform("s", lambda x: F.regexp_count(x, F.lit(WORD)).cast("double")), lambda x: x > 0)).alias("n")).drop("s")
+    # Summed up in the order of the sentences as the SQL does (Welford), so that both round alike where a step of the score begins.
+    zero = F.struct(*(F.lit(0.0).alias(k) for k in ("k", "mean", "squares")))
+
+    def add(s: Column, x: Column) -> Column:
+        k, mean = s["k"] + 1, s["mean"] + (x - s["mean"]) / (s["k"] + 1)
+        return F.struct(k.alias("k"), mean.alias("mean"), (s["squares"] + (x - mean) * (x - s["mean"])).alias("squares"))
+
     meant = counted.select("*", once(F.aggregate("n", F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("n"), F.lit(1))).alias("mean"))
-    squares = F.aggregate("n", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
-    cv = F.when(F.size("n") < 2, 0.0).otherwise(F.sqrt(squares / F.greatest(F.size("n") - 1, F.lit(1))) / F.nullif("mean", F.lit(0.0)))
+    cv = F.when(F.size("n") < 2, 0.0).otherwise(F.sqrt(F.aggregate("n", zero, add)["squares"] / F.greatest(F.size("n") - 1, F.lit(1))) / F.nullif("mean", F.lit(0.0)))
     return meant.withColumn("cv", F.coalesce(cv, F.lit(0.0))).drop("n", "mean")
 
 
@@ -143,14 +153,18 @@ def fixed_word(body: str) -> str:
     return max(re.findall(r"[a-z]+", re.sub(r"\w\?", " ", body)), key=len)
 
 
+def lowered(text: Column) -> Column:
+    return F.translate(F.lower(text), "\u017f", "s")
+
+
 def _counts(text: Column, low: Column) -> list[tuple[str, float, Column]]:
-    """A phrase is searched only in texts that hold its fixed word; lower-casing can add such texts but lose none."""
+    """A phrase is searched only in texts that hold its fixed word; low can add such texts but lose none."""
     return [(label, weight, F.when(low.contains(fixed_word(body)), F.regexp_count(text, F.lit(phrase_pattern(body, after)))).otherwise(0)) for label, weight, body, after in PHRASES]
 
 
 def phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, phrase, n, weight of every phrase found."""
-    low = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), once(F.lower(text_col)).alias("low"))
+    low = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), once(lowered(F.col(text_col))).alias("low"))
     found = [F.struct(F.lit(label).alias("phrase"), n.cast("long").alias("n"), F.lit(weight).alias("weight")) for label, weight, n in _counts(F.col("text"), F.col("low"))]
     every = low.select("id", once(F.array(*found)).alias("found"))
     return every.select("id", F.explode("found").alias("x")).filter("x.n > 0").select(F.col("id").alias(id_col), "x.phrase", "x.n", "x.weight")
@@ -165,7 +179,7 @@ DAMP = f"CASE WHEN n_words < {FULL_WORDS} THEN 0.4D + 0.6D * ((n_words - {LEAST_
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", raw: bool = False) -> DataFrame:
     """The style score with its parts; below 30 words there is none."""
     rows = _with_burstiness(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    rows = rows.select("*", once(F.lower("text")).alias("low"))
+    rows = rows.select("*", once(lowered(F.col("text"))).alias("low"))
     weighted = reduce(Column.__add__, [n * weight for _, weight, n in _counts(F.col("text"), F.col("low"))])
     rows = rows.select("id", "n_sentences", "cv", once(weighted).alias("weighted"), once(word_list(F.col("text"))).alias("words"))
     all_ = _with_ratio(rows.withColumn("n_words", F.size("words")), WINDOW)

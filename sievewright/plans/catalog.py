@@ -22,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str, seed: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(seed).alias("text"))
+    # In the SQL's engine concat passes over a null text.
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(seed.replace("concat(text,", "concat(coalesce(text, ''),")).alias("text"))
 
 
 def query(sql: str | None = None):

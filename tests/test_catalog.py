@@ -48,3 +48,17 @@ def test_audit_rank_is_whole(spark, duck):
     assert sorted(got.doc_id) == sorted(x for (x,) in duck.execute("select doc_id from documents").fetchall())
     assert list(zip(-got.weight, got.doc_id)) == sorted(zip(-got.weight, got.doc_id))
     assert rows(got) == rows(duck.execute(catalog.SQL["audit_rank"]).df())
+
+
+def test_stylometry_score_equals_sql_where_a_step_begins(spark, tmp_path):
+    """Sentences of 18, 11, 21, 13, 17 words vary by a quarter of their mean exactly; letters that fold, other white space, no text."""
+    import duckdb
+
+    said = lambda sizes: " ".join(" ".join(f"w{i}x{k}" for k in range(n)) + "." for i, n in enumerate(sizes))
+    pad = said([40])
+    texts = [said([18, 11, 21, 13, 17]), said([6, 8, 10]), None, "", f"delveſ into it. {pad}", f"It underscoreſ the need. {pad}", f"plays a Key role. {pad}", f"moreover\x0b{pad} a.\x0bb c", f"not only ſo but also highlights {pad}", f"Delve\x0binto {pad}"]
+    rows_in = [(7 * i + r, t) for i, t in enumerate(texts) for r in (0, 5, 6)]
+    spark.createDataFrame(rows_in, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert rows(catalog.QUERIES["stylometry_score"](spark, str(tmp_path)).toPandas()) == rows(con.execute(catalog.SQL["stylometry_score"]).df())
