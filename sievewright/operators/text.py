@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..functions import codepoints as cp
+from .batches import few
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,8 @@ _KHMER = [r for r in cp.ranges(lambda c: 0x1780 <= c <= 0x17FF and chr(c).isalph
 _listed, _format, _orthographic = _member(*cp.LISTED, cp.SUPPLEMENT, cp.TAGS, *cp.PRIVATE), _member(*cp.FORMAT), _member(*cp.ORTHOGRAPHIC)
 _glue, _emoji, _letter, _jamo, _khmer, _flag = _member(*cp.GLUE), _member(*cp.EMOJI), _member(*cp.LETTER_OR_MARK), _member(*cp.JAMO), _member(*_KHMER), _member(cp.FLAG_TAGS)
 _bidi, _zero, _private, _selector, _tags = _member(*cp.BIDI), _member(*cp.ZERO_WIDTH), _member(*cp.PRIVATE), _member((0xFE00, 0xFE0F), cp.SUPPLEMENT), _member(cp.TAGS)
+#: Pairs of a character and the base before it whose decision is kept.
+SEEN = 20_000
 _spaces, _looks = frozenset(cp.SPACES), {ord(a): b for a, b in cp.LOOKALIKES.items()}
 
 
@@ -83,9 +86,28 @@ def walk(options: TextOptions) -> Callable[[str], Iterator[tuple[int, int, str,
         spans |= {(c, c) for c in _looks}
     find = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in sorted(spans)) + "]").finditer
 
+    # What becomes of a character follows from it and the base before it; texts repeat few such pairs.
+    seen: dict[tuple[int, int | None], tuple[str | None, int | None]] = {}
+
+    def decide(c: int, prev: int | None) -> tuple[str | None, int | None]:
+        """The kind, and the base for what follows."""
+        listed = _listed(c)
+        stripped = listed or _format(c) and (options.strip_emoji_glue or not _orthographic(c))
+        space, look = options.normalize_spaces and c in _spaces, options.aggressive and c in _looks
+        if not options.strip_emoji_glue and _kept(c, prev):
+            kind = None
+        elif listed:
+            kind = _strip_kind(c)
+        else:
+            kind = "space-homoglyph" if space else "latin-confusable" if look else "other-format-char" if _format(c) else None
+        if len(seen) >= SEEN:
+            seen.clear()
+        out = seen[c, prev] = kind, prev if stripped or _glue(c) else 32 if space else 97 if look else c
+        return out
+
     def run(text: str) -> Iterator[tuple[int, int, str, int, str | None]]:
         prev, end, offset = None, 0, 0
-        wide = not text.isascii() and max(text) > "￿"
+        wide = not text.isascii() and max(text) > "\uffff"
         for hit in find(text):
             at = hit.start()
             if at > end:
@@ -93,18 +115,8 @@ def walk(options: TextOptions) -> Callable[[str], Iterator[tuple[int, int, str,
             offset += len(text[end:at].encode("utf-16-le", "surrogatepass")) // 2 if wide else at - end
             ch = text[at]
             c = ord(ch)
-            listed = _listed(c)
-            stripped = listed or _format(c) and (options.strip_emoji_glue or not _orthographic(c))
-            space, look = options.normalize_spaces and c in _spaces, options.aggressive and c in _looks
-            if not options.strip_emoji_glue and _kept(c, prev):
-                kind = None
-            elif listed:
-                kind = _strip_kind(c)
-            else:
-                kind = "space-homoglyph" if space else "latin-confusable" if look else "other-format-char" if _format(c) else None
+            kind, prev = seen.get((c, prev)) or decide(c, prev)
             yield at, offset, ch, c, kind
-            if not stripped and not _glue(c):
-                prev = 32 if space else 97 if look else c
             end = at + 1
             offset += 2 if c > 0xFFFF else 1
 
@@ -117,7 +129,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, fn: Callable, ddl: str,
     names = out.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             rows, at = [], []
             for k, text in enumerate(b.column(1).to_pylist()):
                 own = fn(text)
