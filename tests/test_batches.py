@@ -25,3 +25,10 @@ def test_texts_are_walked_few_rows_at_a_time(spark, mapped):
     for fn in mapped:
         out = list(fn(iter([batch])))
         assert max(b.num_rows for b in out) <= 256 and [i for b in out for i in b.column(0).to_pylist()] == list(range(1000))
+
+
+def test_ratios_are_taken_few_rows_at_a_time(spark, mapped):
+    style.moving_ratio(spark.createDataFrame([(0, "a")], "doc_id long, text string"))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array([["a", str(i % 2)] for i in range(1000)])], names=["id", "words"])
+    out = list(mapped[0](iter([batch])))
+    assert max(b.num_rows for b in out) <= 256 and sum(b.num_rows for b in out) == 1000
