@@ -455,9 +455,10 @@ def _images(spark: SparkSession, sf_dir: str, kind: str = "image") -> DataFrame:
     import pyarrow as pa
 
     def build(batches):
+        from ..operators.batches import few
         from . import blobs
 
-        for b in batches:
+        for b in few(batches):
             ids = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in ids]), pa.array([getattr(blobs, kind)(i) for i in ids], pa.binary())], names=["name", "content"])
 
@@ -554,8 +555,6 @@ def office_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(doc_id AS VARCHAR) AS name, '' AS left_over, CAST(3 AS BIGINT) AS entries FROM documents")
 def office_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What inspection still finds after cleaning, and the entries kept."""
-    from ..operators.archives import clean_documents, inspect_documents, zip_entries
+    from ..operators.archives import cleaned_documents
 
-    out = clean_documents(_images(spark, sf_dir, "office"), "name").select("name", F.col("output").alias("content"))
-    kept = zip_entries(out, "name").groupBy("name").agg(F.count("*").alias("entries"))
-    return inspect_documents(out, "name").select("name", F.array_join("findings", ",").alias("left_over")).join(kept, "name")
+    return cleaned_documents(_images(spark, sf_dir, "office"), "name").select("name", F.array_join("findings", ",").alias("left_over"), "entries")

@@ -32,3 +32,17 @@ def test_ratios_are_taken_few_rows_at_a_time(spark, mapped):
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array([["a", str(i % 2)] for i in range(1000)])], names=["id", "words"])
     out = list(mapped[0](iter([batch])))
     assert max(b.num_rows for b in out) <= 256 and sum(b.num_rows for b in out) == 1000
+
+
+def test_files_are_read_few_rows_at_a_time(spark, mapped):
+    files = spark.createDataFrame([("a", b"")], "name string, content binary")
+    images.inspect_images(files, "name"), images.strip_images(files, "name"), archives.inspect_documents(files, "name"), archives.clean_documents(files, "name")
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(1000)]), pa.array([b"x"] * 1000, pa.binary())], names=["name", "content"])
+    for fn in mapped:
+        out = list(fn(iter([batch])))
+        assert max(b.num_rows for b in out) <= 256 and sum(b.num_rows for b in out) == 1000
+
+
+@pytest.mark.skipif(not __import__("os").path.exists(SF), reason="no test tables")
+def test_office_clean_cleans_each_file_once(spark, mapped):
+    assert catalog.QUERIES["office_clean"](spark, SF).count() == 200 and len(mapped) == 2
