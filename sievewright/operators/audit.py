@@ -20,16 +20,18 @@ def rank(confidence: Column) -> Column:
 def audit_items(items: DataFrame, findings: DataFrame, key: str = "name") -> DataFrame:
     """One wide row per item.
 
-    items: key, kind, format, has_c2pa, has_ai_metadata, privacy (array), suspicious_total.
-    findings: key, code, confidence. Aggregated before the join, so a hot item costs one row.
+    items: key, kind, format, has_c2pa, has_ai_metadata, privacy (array), suspicious_total unless findings bring it.
+    findings: key, code, confidence and, where they add up to suspicious_total, n. Aggregated before the join, so a hot item costs one row.
     """
+    total = [F.sum("n").cast("long").alias("suspicious_total")] if "n" in findings.columns else []
     by = findings.groupBy(key).agg(
         F.count("*").alias("n_findings"),
         F.coalesce(F.sum(rank(F.col("confidence"))), F.lit(0)).cast("long").alias("rank_sum"),
         *(F.count_if(F.col("confidence") == c).alias(f"n_{c.replace('-', '_')}") for c in RANKS),
+        *total,
     )
     out = items.join(by, key, "left")
-    numbers = ["n_findings", "rank_sum", *(f"n_{c.replace('-', '_')}" for c in RANKS)]
+    numbers = ["n_findings", "rank_sum", *(f"n_{c.replace('-', '_')}" for c in RANKS), *(["suspicious_total"] if total else [])]
     out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in numbers})
     substantiated = F.col("n_confirmed") + F.col("n_probable") > 0
     actionable = F.col("has_c2pa") | (F.size("privacy") > 0) | (F.col("suspicious_total") > 0) | substantiated

@@ -46,3 +46,10 @@ def test_files_are_read_few_rows_at_a_time(spark, mapped):
 @pytest.mark.skipif(not __import__("os").path.exists(SF), reason="no test tables")
 def test_office_clean_cleans_each_file_once(spark, mapped):
     assert catalog.QUERIES["office_clean"](spark, SF).count() == 200 and len(mapped) == 2
+
+
+@pytest.mark.skipif(not __import__("os").path.exists(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["audit_summary", "audit_rollup", "audit_items", "audit_rank", "audit_vs_labels", "audit_by_format"])
+def test_audits_walk_each_text_once(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
