@@ -529,3 +529,17 @@ def test_lm_shards_and_blocks_are_built_in_bounded_memory(monkeypatch):
         if x["kind"]:
             ids = np.frombuffer(zlib.decompress(x["data"]), np.int32)
             assert (known[ids] == lm_score.tokens(rows[x["t1"]])).all()
+
+
+def test_jaccard_join_works_sets_out_once_for_all_slices(spark, monkeypatch):
+    """Stored rings of 32-bit hashes stand in for the texts; what a ring loses to equal hashes, its set needs to share less."""
+    docs = spark.createDataFrame([(i, f"a{i // 2} b c d e f g h i j k{i}") for i in range(8)] + [(8, None), (9, "one")], DOCS)
+    texts = jaccard_join._distinct(docs, "doc_id", "text")
+    assert "text" not in texts.columns
+    monkeypatch.setattr(jaccard_join, "words", lambda c: pytest.fail("words are split again"))
+    rings = {r.rep: list(r.found) for r in texts.collect()}
+    assert all(r == sorted(set(r)) and len(r) == n and all(-(2**31) <= v < 2**31 for v in r) for i, r in rings.items() for n in [0 if i == 8 else 1 if i == 9 else 10])
+    pairs = collections.Counter(p for r in rings.values() for p in zip(r, r[1:] + r[:1], strict=True))
+    x = {r.x: r.rep for r in texts.collect()}
+    got = {x[r.x]: r.shared for r in jaccard_join._shared(texts.filter("n > 0"), None).collect()}
+    assert got == {i: n for i, r in rings.items() if (n := sum(pairs[p] > 1 for p in zip(r, r[1:] + r[:1], strict=True)))}
